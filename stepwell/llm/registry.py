@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from stepwell.llm import exact_dedup
+from stepwell.llm import exact_dedup, simhash
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
