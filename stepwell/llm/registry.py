@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stepwell.llm import exact_dedup, simhash
+from stepwell.llm import exact_dedup, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_packing": packing.op3_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
     }
