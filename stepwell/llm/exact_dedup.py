@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
     # byte checks: the two texts of each positive meet, no other text moves
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), f"[{WS}]+", "").cast("binary")
     wanted = pairs.select(F.explode(F.array(F.struct("_row", "sha"), F.struct(F.col("held_row").alias("_row"), "sha"))).alias("w")).select("w.*")
-    texts = numbered(docs.select("doc_id", "text")).select("_row", norm.alias("norm")).join(wanted, "_row")
+    texts = numbered(docs.select("doc_id", "text")).select("_row", norm.alias("norm")).join(wanted.hint("merge"), "_row")
     differ = texts.groupBy("sha").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("sha")
     same = pairs.select("key", "sha").join(differ, "sha", "left_anti")
     both = held.withColumn("batch", F.lit(False)).unionByName(new.withColumn("batch", F.lit(True)))
@@ -186,7 +186,7 @@ def dedup(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     keep = dedup(docs).where("kept").select("_row")
-    return numbered(docs).join(keep, "_row", "left_semi").select(*docs.columns)
+    return numbered(docs).join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def classes(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id."""
     keep = classes(docs).where(F.col("_row") == F.col("keep_row")).select("_row")
-    return numbered(docs).join(keep, "_row", "left_semi").select(*docs.columns)
+    return numbered(docs).join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
