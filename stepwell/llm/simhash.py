@@ -146,7 +146,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     left = left.where(inside).select(code(to).alias("cell"), F.when(same, F.col("sub")).otherwise(-1).alias("from_sub"), F.col("fps").alias("a"))
     # -1: another cell, all tiles are partners; else its own cell, where each two tiles meet once
     right = tiles.select("cell", "sub", F.col("fps").alias("b"))
-    pairs = left.join(right, "cell").where((F.col("from_sub") < 0) | (F.col("from_sub") <= F.col("sub"))).select("cell", "sub", "a", "b")
+    pairs = left.hint("merge").join(right, "cell").where((F.col("from_sub") < 0) | (F.col("from_sub") <= F.col("sub"))).select("cell", "sub", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
