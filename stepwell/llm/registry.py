@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stepwell.llm import exact_dedup, packing, simhash
+from stepwell.llm import exact_dedup, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.op3_packing,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
     }
