@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stepwell.llm import exact_dedup, packing, quality_rules, sharding, simhash
+from stepwell.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.op3_packing,
+        "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
