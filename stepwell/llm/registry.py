@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stepwell.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op3_packing": packing.op3_packing,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
