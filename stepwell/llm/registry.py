@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stepwell.llm import exact_dedup, html_extract, mixing, packing, quality_rules, sharding, simhash
+from stepwell.llm import exact_dedup, html_extract, mixing, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_pii": pii.op1_pii,
         "op2_html_extract": html_extract.op2_html_extract,
         "op3_packing": packing.op3_packing,
         "op5_mixing": mixing.op5_mixing,
