@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stepwell.llm import exact_dedup, html_extract, mixing, packing, pii, quality_rules, sharding, simhash
+from stepwell.llm import exact_dedup, html_extract, mixing, packing, pii, quality_rules, sharding, simhash, substring
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_substring": substring.op10_substring,
     }
 
 
