@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stepwell.llm import exact_dedup, html_extract, mixing, packing, pii, quality_rules, sharding, simhash, substring
+from stepwell.llm import exact_dedup, html_extract, lm_score, mixing, packing, pii, quality_rules, sharding, simhash, substring
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_pii": pii.op1_pii,
         "op2_html_extract": html_extract.op2_html_extract,
         "op3_packing": packing.op3_packing,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality_rules": quality_rules.op7_quality_rules,
