@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from stepwell import queries  # noqa: F401
+from stepwell.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
