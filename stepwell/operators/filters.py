@@ -35,18 +35,17 @@ def plain(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"(?U)\W+", ""))
 
 
-def not_german(text: Column) -> Column:
+def not_german(text: Column, p: Column) -> Column:
     """Too many letters of other scripts, or English marker words, two or more, outnumber the German ones."""
     letters = F.regexp_replace(text, r"\P{L}+", "")
     foreign = F.length(F.regexp_replace(letters, "[A-Za-zÄÖÜäöüß]+", ""))
     script = (F.length(letters) > 0) & (foreign / F.greatest(F.length(letters), F.lit(1)) > FOREIGN_SCRIPT)
-    count = lambda marks: F.size(F.filter(plain(text), lambda w: w.isin(*marks)))
+    count = lambda marks: F.size(F.filter(p, lambda w: w.isin(*marks)))
     return script | ((count(ENGLISH) >= 2) & (count(ENGLISH) > count(GERMAN)))
 
 
-def repeats(text: Column) -> Column:
-    """No words, two equal halves, or a word three times."""
-    p = F.filter(plain(text), lambda w: w != "")
+def repeats(p: Column) -> Column:
+    """No words, two equal halves, or a word three times; p are words without empty ones."""
     half = F.floor(F.size(p) / 2).cast("int")
     halves = (half > 0) & (F.slice(p, F.lit(1), half) == F.slice(p, half + 1, half))
     most = F.array_max(F.transform(F.array_distinct(p), lambda w: F.size(F.filter(p, lambda x: x == w))))
@@ -60,8 +59,11 @@ def reasons(sents: DataFrame, least: int = 4, most: int = 25) -> DataFrame:
     is found for each fingerprint by a minimum, and joined back.
     """
     text = F.trim("text")
-    n = F.size(words(text))
-    s = sents.withColumn("_fp", fingerprint(text))
+    # exploding one-element arrays keeps the words from being split again for each test
+    s = sents.withColumn("_x", F.explode(F.array(F.struct(F.size(words(text)).alias("n"), plain(text).alias("p")))))
+    s = s.withColumn("_q", F.explode(F.array(F.filter("_x.p", lambda w: w != ""))))
+    n = F.col("_x.n")
+    s = s.withColumn("_fp", fingerprint(text))
     s = s.withColumn(
         "_early",
         F.when(text == "", "empty")
@@ -69,9 +71,9 @@ def reasons(sents: DataFrame, least: int = 4, most: int = 25) -> DataFrame:
         .when(~text.rlike(r"[.!?]$"), "unterminated")
         .when(~n.between(least, most), "length"),
     )
-    late = F.when(not_german(text), "not german").when(text.rlike(PICTOGRAPH), "pictograph").when(repeats(text), "repeats itself")
+    late = F.when(not_german(text, F.col("_x.p")), "not german").when(text.rlike(PICTOGRAPH), "pictograph").when(repeats(F.col("_q")), "repeats itself")
     s = s.withColumn("_late", F.when(F.col("_early").isNull(), late))
     first = s.where("_early IS NULL AND _late IS NULL").groupBy("_fp").agg(F.min("nr").alias("_first"))
     s = s.join(first, "_fp", "left")
     reason = F.coalesce(F.col("_early"), F.when(F.col("_first") < F.col("nr"), "duplicate"), F.col("_late"))
-    return s.withColumn("reason", reason).drop("_fp", "_early", "_late", "_first")
+    return s.withColumn("reason", reason).drop("_fp", "_early", "_late", "_first", "_x", "_q")
