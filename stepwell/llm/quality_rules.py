@@ -69,19 +69,25 @@ def _repeated(words: Column, n: Column, window: int = 8) -> Column:
     return F.when(n > window, let(h, count)).otherwise(F.lit(0).cast("long"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: _row, doc_id, the counted statistics and FEATURES. Null text has no words."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row for each row of docs: _row, doc_id, the counted statistics and FEATURES. Null text has no words.
+
+    carry: the whole row of docs goes along, as the struct _doc.
+    """
+    more = [F.struct(*docs.columns).alias("_doc")] if carry else []
+    kept = ["_doc"] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
     # exploding one-element arrays keeps words and lines from being computed for each use
-    d = numbered(docs).select("_row", "doc_id", text.alias("text"), F.explode(F.array(F.struct(words.alias("w"), lines.alias("l")))).alias("x"))
-    d = d.select("_row", "doc_id", "text", F.col("x.w").alias("w"), F.col("x.l").alias("l"))
+    d = numbered(docs).select("_row", "doc_id", *more, text.alias("text"), F.explode(F.array(F.struct(words.alias("w"), lines.alias("l")))).alias("x"))
+    d = d.select("_row", "doc_id", *kept, "text", F.col("x.w").alias("w"), F.col("x.l").alias("l"))
     only = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", "")).cast("long")
     d = d.select(
         "_row",
         "doc_id",
+        *kept,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         only(SYMBOLS).alias("n_symbols"),
@@ -197,9 +203,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the base statistics and the learned list keep."""
-    keep = judge(docs, labels)[0].where("kept").select("_row")
-    return numbered(docs).join(keep, "_row", "left_semi").select(*docs.columns)
+    """The rows of docs that the base statistics and the learned list keep.
+
+    The list runs over docs itself: counting statistics once more costs less than sending all texts through a shuffle.
+    """
+    _, rules = judge(docs, labels)
+    return statistics(docs, carry=True).where(verdict(rules)).select("_doc.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
