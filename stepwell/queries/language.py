@@ -128,15 +128,18 @@ def trigram_search_jaccard(spark, sf_dir):
 
 @query(
     "trigram_match_dice",
-    f""", sg AS (SELECT key AS surface, {_grams('key', 2, 2)} AS a FROM cnt), eg AS (SELECT key AS entry, {_grams('key', 2, 2)} AS b FROM goals),
+    rf""", bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS surface FROM benchmark),
+sg AS (SELECT surface, {_grams('surface', 2, 2)} AS a FROM bw), eg AS (SELECT key AS entry, {_grams('key', 2, 2)} AS b FROM goals),
 sx AS (SELECT surface, len(a) AS na, unnest(a) AS g FROM sg), ex AS (SELECT entry, len(b) AS nb, unnest(b) AS g FROM eg),
 p AS (SELECT surface, entry, 2.0::DOUBLE * count(*) / (any_value(na) + any_value(nb))::DOUBLE AS score FROM sx JOIN ex USING (g) GROUP BY surface, entry),
 r AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY score DESC, entry) AS place FROM p WHERE score >= 0.6) SELECT surface, entry, round(score, 9) AS score FROM r WHERE place = 1""",
     corpus=True,
 )
 def trigram_match_dice(spark, sf_dir):
-    u, _, goals = corpus(spark, sf_dir)
-    m = vocabulary.fuzzy_match(u.select(F.col("key").alias("surface")).distinct(), goals.select(F.col("key").alias("entry")), GOALS)
+    """The listed goal that each word of the benchmark's texts is closest to."""
+    _, _, goals = corpus(spark, sf_dir)
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    m = vocabulary.fuzzy_match(tables.table(spark, sf_dir, "benchmark").select(words.alias("surface")), goals.select(F.col("key").alias("entry")), GOALS)
     return m.select("surface", "entry", F.round("score", 9).alias("score"))
 
 
