@@ -8,8 +8,7 @@ of both models while it is scored.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,12 +48,26 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(good.hint("merge"), "doc_id", "left").select("_row", "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def _pack(block: np.ndarray) -> bytes:
-    return zlib.compress(block.astype("<u8").tobytes(), 1)
+_MOST = np.iinfo(np.uint16).max
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<u8")
+def _sparse(block: np.ndarray) -> bytes:
+    """Cells above zero and their counts as 16-bit pairs; a larger count takes several pairs."""
+    out, left = [], block.astype(np.int64)
+    while (at := np.flatnonzero(left)).size:
+        n = np.minimum(left[at], _MOST)
+        out.append(np.stack([at, n], 1).astype("<u2"))
+        left[at] -= n
+    return b"".join(x.tobytes() for x in out)
+
+
+def _dense(parts: Iterable[bytes]) -> np.ndarray:
+    """The sum of packed blocks."""
+    out = np.zeros(_CELLS, np.int64)
+    for raw in parts:
+        pairs = np.frombuffer(raw, "<u2").reshape(-1, 2)
+        np.add.at(out, pairs[:, 0], pairs[:, 1])
+    return out
 
 
 def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +76,24 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, good = np.zeros(_size(), np.uint32), np.zeros(_size(), np.uint32)
-        part = 0
+        part = None
         for b in batches:
-            for row, text, target in zip(b.column(0), b.column(1), b.column(2)):
-                part = part or row.as_py() % 1_000_003
-                for ids in _ids(text.as_py()):
-                    np.add.at(all_, ids, 1)
-                    if target.as_py():
-                        np.add.at(good, ids, 1)
-        for at in range(0, _size(), _CELLS * 64):
-            blocks = [(k // _CELLS, all_[k : k + _CELLS], good[k : k + _CELLS]) for k in range(at, min(at + _CELLS * 64, _size()), _CELLS)]
-            blocks = [x for x in blocks if x[1].any()]
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), pa.array([part % _FAN_IN] * len(blocks), pa.int32()), pa.array([_pack(x[1]) for x in blocks]), pa.array([_pack(x[2]) for x in blocks])], ["block", "part", "b", "t"])
+            for lo in range(0, b.num_rows, 200):
+                some = b.slice(lo, 200)
+                ids = [np.concatenate(_ids(t.as_py())) for t in some.column(1)]
+                target = some.column(2).to_pylist()
+                part = some.column(0)[0].as_py() if part is None else part
+                np.add.at(all_, np.concatenate(ids), 1)
+                np.add.at(good, np.concatenate([np.zeros(0, np.int64), *(x for x, t in zip(ids, target) if t)]), 1)
+        starts = [k for k in range(0, _size(), _CELLS) if all_[k : k + _CELLS].any()]
+        for at in range(0, len(starts), 64):
+            ks = starts[at : at + 64]
+            cols = [pa.array([k // _CELLS for k in ks], pa.int32()), pa.array([(part or 0) % _FAN_IN] * len(ks), pa.int32())]
+            cols += [pa.array([_sparse(x[k : k + _CELLS]) for k in ks], pa.binary()) for x in (all_, good)]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "part", "b", "t"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
-        b, t = sum(map(_unpack, f["b"])), sum(map(_unpack, f["t"]))
-        return pd.DataFrame({"block": f["block"][:1], "part": f["part"][:1], "b": [_pack(b)], "t": [_pack(t)]})
+        return pd.DataFrame({"block": f["block"][:1], "part": f["part"][:1], "b": [_sparse(_dense(f["b"]))], "t": [_sparse(_dense(f["t"]))]})
 
     schema = "block int, part int, b binary, t binary"
     made = rows.select("_row", "text", "target").mapInArrow(tally, schema)
@@ -88,23 +102,20 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     background, target = np.zeros(_size(), np.float32), np.zeros(_size(), np.float32)
     for r in made.toLocalIterator():
         at = slice(r["block"] * _CELLS, (r["block"] + 1) * _CELLS)
-        background[at], target[at] = _unpack(bytes(r["b"])), _unpack(bytes(r["t"]))
+        background[at], target[at] = _dense([r["b"]]), _dense([r["t"]])
     return background, target
 
 
-def losses(words: np.ndarray, pairs: np.ndarray, model: np.ndarray, total: float, own: bool) -> np.ndarray:
-    """Loss of each token under a model of counts; `own`: the text itself is among them, and is left out."""
-    out = model[words]
-    two = model[pairs]
-    if own:
-        _, at, n = np.unique(words, return_inverse=True, return_counts=True)
-        out = np.maximum(out - n[at], 0)
-        _, at, n = np.unique(pairs, return_inverse=True, return_counts=True)
-        two = np.maximum(two - n[at], 0)
+def losses(words: np.ndarray, pairs: np.ndarray, model: np.ndarray, total: float, own: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Loss of each token under a model of counts; own: how often the text itself has each of its words and pairs,
+    where it is among what was counted, and is left out."""
+    one, two = model[words].astype(np.float64), model[pairs].astype(np.float64)
+    if own is not None:
+        one, two = np.maximum(one - own[0], 0), np.maximum(two - own[1], 0)
         total = max(total - len(words), 0)
-    one = (out + 1.0) / (total + (1 << WORD_BITS))
-    p = one.copy()
-    p[1:] = (two + SMOOTH * one[1:]) / (np.maximum(out[:-1], two) + SMOOTH)
+    before = one[:-1]
+    p = (one + 1.0) / (total + (1 << WORD_BITS))
+    p[1:] = (two + SMOOTH * p[1:]) / (np.maximum(before, two) + SMOOTH)
     return -np.log(p)
 
 
@@ -123,6 +134,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     totals = tuple(float(m[: 1 << WORD_BITS].sum(dtype=np.float64)) for m in (background, target))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = np.zeros(_size(), np.int32)
         for b in batches:
             n, lt, lb = [], [], []
             for text, good in zip(b.column(1), b.column(2)):
@@ -130,8 +142,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 n.append(len(words))
                 if len(words):
                     back, tgt = models.value
-                    lb.append(float(losses(words, pairs, back, totals[0], True).mean()))
-                    lt.append(float(losses(words, pairs, tgt, totals[1], good.as_py()).mean()))
+                    for ids in (words, pairs):
+                        np.add.at(scratch, ids, 1)
+                    own = scratch[words], scratch[pairs]
+                    scratch[words] = scratch[pairs] = 0
+                    lb.append(float(losses(words, pairs, back, totals[0], own).mean()))
+                    lt.append(float(losses(words, pairs, tgt, totals[1], own if good.as_py() else None).mean()))
                 else:
                     lb.append(None)
                     lt.append(None)
