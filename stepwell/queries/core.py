@@ -149,3 +149,17 @@ def unsaid_units(spark, sf_dir):
 def priority_rank(spark, sf_dir):
     _, _, goals = corpus(spark, sf_dir)
     return goals.select("key", F.col("rank").cast("long").alias("rank"), F.round(1.0 - F.col("rank") / F.lit(float(GOALS)), 9).alias("priority"))
+
+
+_GRAPH = """WITH e AS (SELECT DISTINCT l_orderkey AS sentence_id, l_partkey AS part FROM lineitem),
+c AS (SELECT part, count(*) AS said FROM e GROUP BY part), k AS (SELECT part FROM c ORDER BY said DESC, part LIMIT 300),
+g AS (SELECT sentence_id, count(*) FILTER (WHERE k.part IS NULL) AS unknown FROM e LEFT JOIN k USING (part) GROUP BY sentence_id)"""
+
+
+@query("graph_gap", _GRAPH + " SELECT unknown, count(*) AS sentences FROM g GROUP BY unknown")
+def graph_gap(spark, sf_dir):
+    """The gap histogram of orders as sentences whose parts are units, the 300 commonest known."""
+    e = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sentence_id"), F.col("l_partkey").alias("part")).distinct()
+    known = e.groupBy("part").agg(F.count("*").alias("said")).orderBy(F.desc("said"), "part").limit(KNOWN).select("part", F.lit(True).alias("is_known"))
+    per = e.join(F.broadcast(known), "part", "left").groupBy("sentence_id").agg(F.count_if(F.col("is_known").isNull()).alias("unknown"))
+    return per.groupBy("unknown").agg(F.count("*").alias("sentences"))
