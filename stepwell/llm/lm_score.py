@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ PAIR_BITS = 22
 #: Weight of the unigram estimate in a bigram's, in counts.
 SMOOTH = 4.0
 _CELLS = 4096
+#: Tasks whose counts of a block meet in one group of the tree.
 _FAN_IN = 64
 
 
@@ -76,19 +78,18 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, good = np.zeros(_size(), np.uint32), np.zeros(_size(), np.uint32)
-        part = None
+        part = TaskContext.get().partitionId() // _FAN_IN
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 some = b.slice(lo, 200)
-                ids = [np.concatenate(_ids(t.as_py())) for t in some.column(1)]
-                target = some.column(2).to_pylist()
-                part = some.column(0)[0].as_py() if part is None else part
+                ids = [np.concatenate(_ids(t.as_py())) for t in some.column(0)]
+                target = some.column(1).to_pylist()
                 np.add.at(all_, np.concatenate(ids), 1)
                 np.add.at(good, np.concatenate([np.zeros(0, np.int64), *(x for x, t in zip(ids, target) if t)]), 1)
         starts = [k for k in range(0, _size(), _CELLS) if all_[k : k + _CELLS].any()]
         for at in range(0, len(starts), 64):
             ks = starts[at : at + 64]
-            cols = [pa.array([k // _CELLS for k in ks], pa.int32()), pa.array([(part or 0) % _FAN_IN] * len(ks), pa.int32())]
+            cols = [pa.array([k // _CELLS for k in ks], pa.int32()), pa.array([part] * len(ks), pa.int32())]
             cols += [pa.array([_sparse(x[k : k + _CELLS]) for k in ks], pa.binary()) for x in (all_, good)]
             yield pa.RecordBatch.from_arrays(cols, ["block", "part", "b", "t"])
 
@@ -96,7 +97,7 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"block": f["block"][:1], "part": f["part"][:1], "b": [_sparse(_dense(f["b"]))], "t": [_sparse(_dense(f["t"]))]})
 
     schema = "block int, part int, b binary, t binary"
-    made = rows.select("_row", "text", "target").mapInArrow(tally, schema)
+    made = rows.select("text", "target").mapInArrow(tally, schema)
     made = made.groupBy("block", "part").applyInPandas(add, schema)
     made = made.withColumn("part", F.lit(0)).groupBy("block").applyInPandas(add, schema)
     background, target = np.zeros(_size(), np.float32), np.zeros(_size(), np.float32)
