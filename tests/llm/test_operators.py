@@ -476,3 +476,21 @@ def test_passages(spark, odd):
 def test_passages_of_repeated_words(spark):
     run = " ".join(w for w in ("wher", "th", "inwhorst", "ernd") for _ in range(17))
     assert {x.similarity for x in substring.passages(frame(spark, [run, run])).collect()} == {1.0}
+
+
+def substituted(r, words, alike):
+    out = list(words)
+    for i in r.sample(range(len(words)), round(len(words) * (1 - alike))):
+        out[i] = "other" + str(r.random())
+    return out
+
+
+def test_fuzzy_passages_are_seeded(spark):
+    """Every pair that shares 52 words at 0.80 to 0.90 has matches to chain."""
+    r = random.Random(19)
+    texts = []
+    for k in range(80):
+        passage = text(r, 52).split()
+        texts += [" ".join([*text(r, 60).split(), *p, *text(r, 60).split()]) for p in (passage, substituted(r, passage, (0.8, 0.82, 0.85, 0.9)[k % 4]))]
+    ids = {row._row: row.doc_id for row in common.numbered(frame(spark, texts)).select("_row", "doc_id").collect()}
+    assert {(ids[m.a], ids[m.b]) for m in substring.matches(frame(spark, texts)).collect()} >= {(k, k + 1) for k in range(0, 160, 2)}
