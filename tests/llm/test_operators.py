@@ -494,3 +494,48 @@ def test_fuzzy_passages_are_seeded(spark):
         texts += [" ".join([*text(r, 60).split(), *p, *text(r, 60).split()]) for p in (passage, substituted(r, passage, (0.8, 0.82, 0.85, 0.9)[k % 4]))]
     ids = {row._row: row.doc_id for row in common.numbered(frame(spark, texts)).select("_row", "doc_id").collect()}
     assert {(ids[m.a], ids[m.b]) for m in substring.matches(frame(spark, texts)).collect()} >= {(k, k + 1) for k in range(0, 160, 2)}
+
+
+def test_segments():
+    """All columns of any stretch that is long and alike enough are held, and nothing else."""
+    r = random.Random(20)
+    for _ in range(300):
+        ops = np.array(r.choices(range(4), [r.choice([3, 8, 16]), 1, r.choice([0, 1]), r.choice([0, 1])], k=r.randint(1, 50)))
+
+        def good(i, j):
+            x, y, edits = (int(v[i:j].sum()) for v in (ops != substring.ONLY_Y, ops != substring.ONLY_X, ops != substring.SAME))
+            return min(x, y) >= 5 and 5 * edits <= max(x, y)
+
+        want, got = np.zeros(len(ops), bool), np.zeros(len(ops), bool)
+        for i, j in itertools.combinations(range(len(ops) + 1), 2):
+            if ops[i] == ops[j - 1] == substring.SAME and good(i, j):
+                want[i:j] = True
+        for i, j in substring.segments(ops, 5, 0.8):
+            assert good(i, j)
+            got[i:j] = True
+        assert (got == want).all()
+
+
+def test_passages_of_a_template(spark):
+    """Equal paragraphs with other words between are each in a row, though the whole is too unlike."""
+    r = random.Random(21)
+    same = [text(r, 55) for _ in range(8)]
+    texts = [" ".join(w for p in same for w in (text(r, 20), p)) for _ in range(2)]
+    rows = substring.passages(frame(spark, texts)).collect()
+    for k in range(8):
+        lo = 75 * k + 20
+        assert any(x.start <= lo and lo + 55 <= x.end for x in rows)
+
+
+def test_fuzzy_passages_are_found(spark):
+    """60 words at 0.85 in pairs of texts, with words substituted, left out and put in."""
+    r = random.Random(22)
+    texts = []
+    for _ in range(20):
+        one = text(r, 60).split()
+        two = list(one)
+        for i in sorted(r.sample(range(3, 57), 9), reverse=True):
+            two[i : i + 1] = r.choice([["other"], [], ["other", two[i]]])
+        texts += [" ".join([text(r, 40), *p, text(r, 40)]) for p in (one, two)]
+    rows = substring.passages(frame(spark, texts)).collect()
+    assert {(x.other_id, x.doc_id) for x in rows} == {(k, k + 1) for k in range(0, 40, 2)}
