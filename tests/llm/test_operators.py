@@ -539,3 +539,17 @@ def test_fuzzy_passages_are_found(spark):
         texts += [" ".join([text(r, 40), *p, text(r, 40)]) for p in (one, two)]
     rows = substring.passages(frame(spark, texts)).collect()
     assert {(x.other_id, x.doc_id) for x in rows} == {(k, k + 1) for k in range(0, 40, 2)}
+
+
+def test_passages_between_common_parts(spark):
+    """Two middle texts share 50 words whose parts, overlapping and all too short, are in earlier and later texts."""
+    r = random.Random(23)
+    first, middle, last = [], [], []
+    for _ in range(6):
+        p = text(r, 50).split()
+        around = lambda words: " ".join([text(r, 40), *words, text(r, 40)])
+        first += [around(p[:35]), around(p[25:])]
+        middle += [around(p), around(p)]
+        last += [around(p[:35]), around(p[25:])]
+    rows = substring.passages(frame(spark, first + middle + last)).collect()
+    assert {(x.other_id, x.doc_id) for x in rows} == {(k, k + 1) for k in range(12, 24, 2)}
