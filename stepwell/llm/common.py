@@ -11,11 +11,17 @@ from stepwell.storage import shared_dir, stage, unstage  # noqa: F401
 #: The white space of all contracts, as a class body for Java, RE2 and Python patterns.
 WS = r"\x20\x09-\x0D"
 
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound once to value, so that value is computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table whose rows come in the same order each time: df itself, or its staged copy if a shuffle feeds it."""
+    return stage(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a row identity that is the same each time the same files are scanned; doc_id may repeat or be null."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -430,29 +430,42 @@ def test_components(spark):
 
 
 # 10
-def plain_chain(a, b):
-    n, best = len(a), []
-    for j in range(n):
-        s = substring.K
+def plain_chain(a, b, n):
+    best = []
+    for j in range(len(a)):
+        s = n[j]
         for i in range(j):
-            if a[i] < a[j] and b[i] < b[j]:
-                s = max(s, substring.K + best[i] - substring.GAP_COST * (a[j] - a[i] + b[j] - b[i]))
+            between = (a[j] - a[i] - n[i], b[j] - b[i] - n[i])
+            if min(between) > -substring.K:
+                s = max(s, n[j] + best[i] - substring.GAP_COST * sum(between))
         best.append(s)
     return max(best)
 
 
 def test_chains():
     r = random.Random(17)
-    for _ in range(200):
-        m = sorted({(r.randint(0, 30), r.randint(0, 30)) for _ in range(r.randint(2, 25))})
-        a, b = (np.array(x) for x in zip(*m))
-        found = substring.chains(a, b)
+    for _ in range(300):
+        m = sorted({(r.randint(0, 60), r.randint(0, 60)): r.randint(4, 12) for _ in range(r.randint(1, 25))}.items())
+        a, b, n = ([f(x) for x in m] for f in (lambda x: x[0][0], lambda x: x[0][1], lambda x: x[1]))
+        found = substring.chains(a, b, n)
         for c in found:
-            assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:]))
-        if found:
-            c = found[0]
-            score = substring.K * len(c) - substring.GAP_COST * (a[c[-1]] - a[c[0]] + b[c[-1]] - b[c[0]])
-            assert score == pytest.approx(plain_chain(a.tolist(), b.tolist()))
+            assert all(a[i] + n[i] - a[j] < substring.K and b[i] + n[i] - b[j] < substring.K for i, j in zip(c, c[1:]))
+        assert sorted(i for c in found for i in c) == list(range(len(m)))
+        c = found[0]
+        score = sum(n[i] for i in c) - substring.GAP_COST * sum(a[j] - a[i] - n[i] + b[j] - b[i] - n[i] for i, j in zip(c, c[1:]))
+        assert score == pytest.approx(plain_chain(a, b, n))
+
+
+def test_stretches():
+    r = random.Random(27)
+    for _ in range(100):
+        rows = sorted({(r.randint(0, 2), 3, r.randint(0, 15), r.randint(0, 15), r.choice([4, 4, 9])) for _ in range(r.randint(1, 40))})
+        cols = [np.array(c) for c in zip(*rows)]
+        got = list(zip(*(c.tolist() for c in substring.stretches(*cols))))
+        cells = {(a, p + i, q + i) for a, _, p, q, n in rows for i in range(n)}
+        names = {a: k for k, a in enumerate(sorted({x[0] for x in rows}))}
+        assert sorted((k, p + i, q + i) for k, p, q, n in got for i in range(n)) == sorted((names[a], p, q) for a, p, q in cells)
+        assert got == sorted(got) and not any((k, p + n, q + n) in {(names[a], x, y) for a, x, y in cells} for k, p, q, n in got)
 
 
 def test_passages(spark, odd):
@@ -553,3 +566,73 @@ def test_passages_between_common_parts(spark):
         last += [around(p[:35]), around(p[25:])]
     rows = substring.passages(frame(spark, first + middle + last)).collect()
     assert {(x.other_id, x.doc_id) for x in rows} == {(k, k + 1) for k in range(12, 24, 2)}
+
+
+def test_six_documents(spark):
+    """3 and 4 share 80 words of which 1 and 5 hold the first 45, 2 and 6 the last 45."""
+    r = random.Random(24)
+    p = text(r, 80).split()
+    around = lambda words: " ".join([text(r, 60), *words, text(r, 60)])
+    rows = substring.passages(frame(spark, list(map(around, (p[:45], p[35:], p, p, p[:45], p[35:]))), [1, 2, 3, 4, 5, 6])).collect()
+    assert {(x.other_id, x.doc_id) for x in rows} == {(3, 4)}
+
+
+@pytest.mark.parametrize("every", [5, 6, 7, 8, 10])
+def test_recall_at_even_edits(spark, every):
+    """Passages of 100 words with each nth word another, all within the threshold."""
+    r = random.Random(every)
+    texts = []
+    for _ in range(20):
+        p = text(r, 100).split()
+        texts += [" ".join([text(r, 50), *x, text(r, 50)]) for x in (p, [w if i % every != every // 2 else "other" + str(r.random()) for i, w in enumerate(p)])]
+    rows = substring.passages(frame(spark, texts)).collect()
+    assert {(x.other_id, x.doc_id) for x in rows} == {(k, k + 1) for k in range(0, 40, 2)}
+
+
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, u in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+    return row[-1]
+
+
+def test_passages_against_all_pairs(spark):
+    """Copies with random edits: all pairs that brute force finds are tied in a class, and each row is as alike as it says."""
+    r = random.Random(25)
+    texts = []
+    for _ in range(12):
+        p = text(r, 50).split()
+        for _ in range(3):
+            q = list(p)
+            for i in sorted(r.sample(range(50), r.randint(0, 10)), reverse=True):
+                q[i : i + 1] = r.choice([["new" + text(r, 1)], [], [q[i], "new" + text(r, 1)]])
+            texts.append(" ".join(q))
+    texts += [text(r, 60) for _ in range(10)]
+    r.shuffle(texts)
+    words = [t.split() for t in texts]
+    want = set()
+    for i, j in itertools.combinations(range(len(words)), 2):
+        x, y = words[i], words[j]
+        if min(len(x), len(y)) >= 50 and x[0] == y[0] and x[-1] == y[-1] and edit_distance(x, y) <= 0.2 * max(len(x), len(y)):
+            want.add((i, j))
+    rows = substring.passages(frame(spark, texts)).collect()
+    of = {}
+    for x in rows:
+        of[x.doc_id] = of[x.other_id] = x.class_id
+        u, v = words[x.doc_id][x.start : x.end], words[x.other_id][x.other_start : x.other_end]
+        assert min(len(u), len(v)) >= 50 and 1 - edit_distance(u, v) / max(len(u), len(v)) >= x.similarity - 1e-9 and x.similarity >= 0.8 - 1e-9
+    assert len(want) > 5 and all(i in of and of.get(i) == of.get(j) for i, j in want)
+
+
+def test_common_seeds_meet(spark, monkeypatch):
+    """Many copies of a passage, hot in a block and over all: one class, and not all pairs."""
+    monkeypatch.setattr(substring, "HOT", 8)
+    monkeypatch.setattr(substring, "FEW", 4)
+    r = random.Random(26)
+    p = text(r, 55)
+    texts = [f"{text(r, 20)} {p} {text(r, 20)}" for _ in range(300)]
+    rows = substring.passages(frame(spark, texts)).collect()
+    assert {x.class_id for x in rows} == {0} and {x.doc_id for x in rows} | {x.other_id for x in rows} == set(range(300))
+    assert len(rows) < 3000
