@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,9 @@ def unstage(df: DataFrame) -> None:
     path = getattr(df, "_staged_at", None)
     if path:
         _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the disk fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
