@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.session import ship  # noqa: F401
-from stepwell.storage import shared_dir, stage, unstage  # noqa: F401
+from stepwell.storage import release, shared_dir, stage, unstage  # noqa: F401
 
 #: The white space of all contracts, as a class body for Java, RE2 and Python patterns.
 WS = r"\x20\x09-\x0D"
