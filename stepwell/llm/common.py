@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def let(value: Column, body) -> Column:
 
 def settled(df: DataFrame) -> DataFrame:
     """A table whose rows come in the same order each time: df itself, or its staged copy if a shuffle feeds it."""
-    return stage(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+    return stage(df, "input") if re.search("(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()) else df
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
