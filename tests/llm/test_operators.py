@@ -179,35 +179,40 @@ def test_cuts():
 
 
 # 4
-def test_lm_score(spark, odd):
+def test_lm_score(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "_BLOCK", 4000)  # several blocks
     quality = {i: int(i % 2 == 0) for i in range(0, len(odd), 3)}
     labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lm_score.score(frame(spark, odd), labels).collect()}
-    cells = {i: lm_score._ids(t) for i, t in enumerate(odd)}
-    all_, good = collections.Counter(), collections.Counter()
-    for i, (w, p) in cells.items():
-        for c in (all_, good) if quality.get(i) == 1 else (all_,):
-            c.update(w.tolist() + p.tolist())
-
-    def loss(w, p, c, own):
-        mine = collections.Counter(w.tolist() + p.tolist()) if own else collections.Counter()
-        n = sum(v for k, v in c.items() if k < 1 << lm_score.WORD_BITS) - len(w) * own
-        left = lambda k: max(c[k] - mine[k], 0)
+    words = {i: [x.lower() for x in WORD.findall(t or "")] for i, t in enumerate(odd)}
+    one, two = ({True: collections.Counter(), False: collections.Counter()} for _ in range(2))
+    for i, w in words.items():
+        for target in {False, quality.get(i) == 1}:
+            one[target].update(w)
+            two[target].update(zip(w, w[1:]))
+    vocabulary = len(one[False])
+
+    def loss(w, target, own):
+        ones, twos = (collections.Counter(x) if own else {} for x in (w, list(zip(w, w[1:]))))
+        n = one[target].total() - len(w) * own
         out = []
-        for i, x in enumerate(w.tolist()):
-            q = (left(x) + 1) / (n + (1 << lm_score.WORD_BITS))
+        for i, x in enumerate(w):
+            q = (one[target][x] - ones.get(x, 0) + 1) / (n + vocabulary)
             if i:
-                two = left(p[i - 1].item())
-                q = (two + lm_score.SMOOTH * q) / (max(left(w[i - 1].item()), two) + lm_score.SMOOTH)
+                b = (w[i - 1], x)
+                c = two[target][b] - twos.get(b, 0)
+                q = (c + lm_score.SMOOTH * q) / (max(one[target][w[i - 1]] - ones.get(w[i - 1], 0), c) + lm_score.SMOOTH)
             out.append(-np.log(q))
         return float(np.mean(out))
 
-    for i, (w, p) in cells.items():
-        if len(w):
-            assert got[i].background_loss == pytest.approx(loss(w, p, all_, True)) and got[i].target_loss == pytest.approx(loss(w, p, good, quality.get(i) == 1))
+    assert set(got) == set(words)
+    for i, w in words.items():
+        assert got[i].n_tokens == len(w)
+        if w:
+            assert got[i].background_loss == pytest.approx(loss(w, False, True)) and got[i].target_loss == pytest.approx(loss(w, True, quality.get(i) == 1))
             assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
         else:
-            assert got[i].score is None and got[i].n_tokens == 0
+            assert got[i].score is None
 
 
 def test_lm_score_tells_kinds_apart(spark):
