@@ -29,6 +29,11 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): each row's identity beside the whole row as a struct, so that no column's name can clash."""
+    return numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reached.
 

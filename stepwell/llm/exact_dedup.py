@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import WS, numbered, ship, stage
+from stepwell.llm.common import WS, carried, numbered, settled, ship, stage
 
 #: Digests a bucket should hold at most; a filter takes about 9 bits a digest.
 BUCKET_KEYS = 200_000
@@ -116,8 +116,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def best(rows: DataFrame, *by: str) -> DataFrame:
     """Per group: the row that stays (most code points, then smallest doc_id, null last) and the group's size."""
-    order = F.struct(F.col("chars"), F.col("doc_id").isNotNull(), -F.coalesce(F.col("doc_id"), F.lit(0)), -F.col("_row"))
-    top = F.max(F.struct(order.alias("o"), "_row", "doc_id", "chars"))
+    top = F.min(F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "chars"))
     return rows.groupBy(*by).agg(top.alias("top"), F.sum("size").alias("size")).select(*by, "size", "top.doc_id", "top.chars", "top._row")
 
 
@@ -160,6 +159,7 @@ def dedup(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
     equal rows the first stays, though keep_id then names them all. An empty table gives no rows. Other columns are
     ignored.
     """
+    docs = settled(docs)
     rows = stage(digests(docs).withColumn("size", F.lit(1).cast("long")).withColumn("batch", F.pmod(F.xxhash64("_row"), F.lit(snapshot_share)) == snapshot_share - 1), "digests")
     held = stage(best(rows.where(~F.col("batch")), "key", "sha"), "snapshot")
     new = stage(best(rows.where("batch"), "key", "sha"), "batch")
@@ -184,9 +184,13 @@ def dedup(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever their names and the type of doc_id.
+
+    Nulls, repeated rows and empty tables are as in dedup: of equal texts, null and empty ones too, one row stays.
+    """
+    docs = settled(docs)
     keep = dedup(docs).where("kept").select("_row")
-    return numbered(docs).join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return carried(docs).join(keep.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stepwell.llm.common import ship
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -92,6 +92,7 @@ def blocks(page: str | None) -> list[Block]:
     held: dict[str, int] = {}
     parts: list[str] = []
     links = number = at = in_link = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -134,9 +135,12 @@ def blocks(page: str | None) -> list[Block]:
             tag, ends = m[2].lower(), bool(m[1])
             if tag in RAW and not ends:
                 if tag not in ("svg", "math") or not m[3].rstrip().endswith("/"):
-                    stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                    if stop.group() or tag in OPEN_RAW:
+                    stop = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    if stop:
                         at = stop.end()
+                    else:
+                        unclosed.add(tag)
+                        at = len(page) if tag in OPEN_RAW else at
                     parts.append(" ")
             elif tag == "br" or tag == "wbr":
                 parts.append(" " if tag == "br" else "")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import WS, numbered, ship, stage
+from stepwell.llm.common import WS, carried, numbered, settled, ship, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -163,10 +163,15 @@ def copies(docs: DataFrame, words: bool = True) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs as the mix takes them: each as often as its copies say."""
+    """The rows of docs as the mix takes them: each as often as its copies say, with all its columns, whatever their names.
+
+    Null sources are one source, null texts have no words; rows without words may be taken or not. Repeated rows are
+    rounded each on its own. An empty table stays empty.
+    """
+    docs = settled(docs)
     take = copies(docs).where("copies > 0").select("_row", F.col("copies").alias("_n"))
-    out = numbered(docs).join(take.hint("merge"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n")))
-    return out.select(*docs.columns)
+    out = carried(docs).join(take.hint("merge"), "_row")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), "_n"))).select("_doc.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

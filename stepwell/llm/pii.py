@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions alone.
 
-Four kinds of entities have fixed forms; those found are the seeds. The words before a seed are lexical patterns. All
-tokens with digits or @ signs are instances; pattern and instance scores are iterated on the graph of which pattern
-introduces which instance, and what confident patterns introduce is an identifier though no fixed form knows it.
+Four kinds of entities have fixed forms; those found, and digests written as keys are, are the seeds. The words before a
+seed are lexical patterns. All tokens with digits or @ signs are instances; pattern and instance scores are iterated on
+the graph of which pattern introduces which instance, and what confident patterns introduce is an identifier though no
+fixed form knows it. A pattern is the less confident the more often its words stand before anything else.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import let, numbered, stage
+from stepwell.llm.common import WS, let, numbered, settled, stage
 
 #: The fixed forms, in their order. Each gives the contract's leftmost non-overlapping matches but is linear on long
 #: runs: runs are taken whole, and a match starts where a run does, or where the last match ended.
@@ -21,8 +22,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Code points before a token in which its pattern's words are sought.
-REACH = 64
+#: Digests, which teach contexts though they have no kind: keys and tokens are often written so.
+DIGEST = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+#: Shapes of fixed forms: what has one but is none (a number that fails its check) is no identifier.
+FAILED = r"^(?:[0-9](?:[\x20-]?[0-9]){13,18}|[0-9]++(?:\.[0-9]++){3})$"
 ROUNDS = 3
 #: A pattern needs so many different seeds; its score is shrunk by SHRINK unknown instances.
 SUPPORT = 3
@@ -110,49 +113,65 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def instances(text: Column) -> Column:
-    """Tokens with digits or @ signs: array of (s, e, m, left), m without marks around it, left what leads up to it.
+def _words(text: Column) -> Column:
+    """The words of a text, lower case, digits as 0."""
+    plain = F.btrim(F.regexp_replace(F.lower(text), "[0-9]", "0"), F.lit(" \t\n\x0b\f\r"))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, f"[{WS}]+"))
 
-    A label inside the token, up to its last = or :, counts as leading up.
-    """
 
-    def trim(x: Column) -> Column:
-        label = F.regexp_extract(x["m"], r"^(?:[^=:]*+[=:])*+", 0)
+def _label(word: Column) -> Column:
+    """What leads up to a value inside a word: up to its last = or :, if more follows; else empty."""
+    return F.regexp_extract(word, r"^(?:[^=:]*+[=:])++(?=.)", 0)
+
+
+def _patterns(words: Column, i: Column) -> Column:
+    """The patterns of word i, hashed: the label in it or the word before it, and that with one word more. Words that a
+    text's start cuts off are empty."""
+    at = lambda k: F.coalesce(F.get(words, k), F.lit(""))
+    word = at(i)
+    label = F.when(F.contains(word, F.lit("=")) | F.contains(word, F.lit(":")), _label(word)).otherwise(F.lit(""))
+    plain = F.array(F.xxhash64(at(i - 1)), F.xxhash64(at(i - 2), at(i - 1)))
+    return let(label, lambda x: F.when(x == "", plain).otherwise(F.array(F.xxhash64(x), F.xxhash64(at(i - 1), x))))
+
+
+def instances(text: Column, words: Column) -> Column:
+    """Tokens with digits or @ signs: array of (s, e, m, p), m without label and marks around it, p its patterns."""
+
+    def trim(x: Column, i: Column) -> Column:
+        label = _label(x["m"])
         rest = F.substr(x["m"], F.length(label) + 1)
         head = F.regexp_extract(rest, r"^[\"'(\[{<]*+", 0)
-        body = F.regexp_replace(F.substr(rest, F.length(head) + 1), r"[\"')\]}>.,;!?]++$", "")
+        body = F.regexp_replace(F.substr(rest, F.length(head) + 1), r"[^\p{L}\p{N}]++$", "")
         start = x["s"] + F.length(label) + F.length(head)
-        return F.struct(start.alias("s"), (start + F.length(body)).alias("e"), body.alias("m"), F.concat(F.right(x["gap"], F.lit(REACH)), label, head).alias("left"))
-
-    kept = F.filter(F.transform(_matches(text, TOKEN), trim), lambda x: x["m"].rlike("[0-9@]"))
-    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string,left:string>>")
-    return F.when(text.rlike("[0-9@]"), kept).otherwise(none)
+        return F.struct(start.alias("s"), (start + F.length(body)).alias("e"), body.alias("m"), _patterns(words, i).alias("p"))
 
+    def found(places: Column) -> Column:
+        return F.filter(F.zip_with(_matches(text, TOKEN), places, trim), lambda x: x["m"].rlike("[0-9@]"))
 
-def _patterns(left: Column) -> Column:
-    """The one and the two words before an instance, lower case, digits as 0; none at a text's start."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(left), "[0-9]", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(words, lambda w: F.filter(F.array(F.when(F.size(w) > 0, F.element_at(w, -1)), F.when(F.size(w) > 1, F.array_join(F.slice(w, F.lit(-2), F.lit(2)), " "))), lambda p: p.isNotNull()))
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string,p:array<bigint>>>")
+    return F.when(text.rlike("[0-9@]"), let(places, found)).otherwise(none)
 
 
-def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Instances (surface) that are no seeds, with their score, from edges (pattern, surface, n, seed).
+def score(edges: DataFrame, seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Instances (surface) with their score, from edges (pattern, surface, n, seed, never) and seen (pattern, every).
 
-    A pattern's score is the mean score of its instances, shrunk; seeds count 1. An instance's is the noisy or of its
-    patterns'. Patterns with too few different seeds, or accepted instances, score 0. A pattern with very many
-    instances is only a key of sums and of a join whose other side has one row for it.
+    A pattern's score is what its instances' scores add up to, of all the places (every) where its words stand before
+    anything, shrunk; seeds count 1. An instance's is the noisy or of its patterns'; what is never an identifier has 0.
+    Patterns with too few different seeds, or accepted instances, score 0. A pattern with very many instances is only a
+    key of sums and of a join whose other side has one row for it.
     """
     edges = stage(edges, "graph")
-    known = edges.groupBy("surface").agg(F.max(F.col("seed").cast("double")).alias("w"))
-    start = stage(known, "scores")
-    now = start
+    start = stage(edges.groupBy("surface").agg(F.max(F.col("seed").cast("double")).alias("w"), F.max("never").alias("never")), "scores")
+    now, out = start.select("surface", "w"), None
     for _ in range(rounds):
         on = edges.join(now, "surface")
-        patterns = on.groupBy("pattern").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.sum((F.col("w") >= ACCEPT).cast("long")).alias("sure"))
-        patterns = patterns.where(F.col("sure") >= SUPPORT).select("pattern", (F.col("w") / (F.col("n") + SHRINK)).alias("c"))
+        patterns = on.groupBy("pattern").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum((F.col("w") >= ACCEPT).cast("long")).alias("sure"))
+        patterns = patterns.where(F.col("sure") >= SUPPORT).join(seen, "pattern").select("pattern", F.least(F.col("w") / (F.col("every") + SHRINK), F.lit(1.0)).alias("c"))
         some = edges.join(patterns, "pattern").groupBy("surface").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("v"))
-        now = stage(start.join(some, "surface", "left").select("surface", F.when(F.col("w") >= 1, 1.0).otherwise(F.coalesce("v", F.lit(0.0))).alias("w")), "scores")
-    return now.join(start.where("w < 1").select("surface"), "surface", "left_semi")
+        out = stage(start.join(some, "surface", "left").select("surface", F.col("w").alias("was"), F.when(F.col("never"), 0.0).otherwise(F.coalesce("v", F.lit(0.0))).alias("w")), "scores")
+        now = out.select("surface", F.greatest("was", "w").alias("w"))
+    return out.select("surface", "w")
 
 
 def _written(spans: Column) -> Column:
@@ -168,15 +187,22 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     no rows. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    d = numbered(docs).select("_row", "doc_id", base_spans(text).alias("base"), instances(text).alias("tokens"))
-    seen = F.transform("tokens", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("m"), t["left"].alias("left"), F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])).alias("seed")))
-    rows = stage(d.select("_row", "doc_id", "base", seen.alias("tokens")), "spans")
+    docs = settled(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    d = numbered(docs).select("_row", "doc_id", text.alias("text"), F.explode(F.array(_words(text))).alias("words"))
+    d = d.select("_row", "doc_id", base_spans(F.col("text")).alias("base"), instances(F.col("text"), F.col("words")).alias("tokens"))
+    over = F.transform("tokens", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("m"), t["p"].alias("p"), F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])).alias("base")))
+    rows = stage(d.select("_row", "doc_id", "base", over.alias("tokens")), "spans")
     each = rows.select("_row", F.explode("tokens").alias("t")).select("_row", "t.*").withColumn("surface", F.xxhash64("m"))
-    pattern = F.explode(_patterns(F.col("left")))
-    edges = each.select("surface", "seed", pattern.alias("p")).groupBy(F.xxhash64("p").alias("pattern"), "surface").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    sure = score(edges, rounds).where(F.col("w") >= ACCEPT).select("surface")
+    each = each.withColumn("seed", F.col("base") | (F.col("m").rlike(DIGEST) & F.col("m").rlike("[a-f]") & F.col("m").rlike("[0-9]"))).withColumn("never", ~F.col("base") & F.col("m").rlike(FAILED))
+    edges = each.select("surface", "seed", "never", F.explode("p").alias("pattern")).groupBy("pattern", "surface").agg(F.max("seed").alias("seed"), F.max("never").alias("never"), F.count("*").alias("n"))
+    edges = stage(edges, "edges")
+    able = stage(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"), "able")
+    words = docs.select(F.explode(F.array(_words(text))).alias("words")).where(F.size("words") > 0)
+    all_ = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _patterns(F.col("words"), i)))).alias("pattern"))
+    seen = stage(all_.join(able, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("every")), "seen")
+    sure = score(edges.join(able, "pattern", "left_semi"), seen, rounds).where(F.col("w") >= ACCEPT).select("surface", F.lit(True).alias("sure"))
     able = (F.length("m") >= LEAST_LENGTH) & ((F.length(_digits(F.col("m"))) >= LEAST_DIGITS) | F.contains("m", F.lit("@")))
-    new = each.where(~F.col("seed") & able).join(sure, "surface", "left_semi")
+    new = each.where(~F.col("base") & able).join(sure, "surface", "left_semi")
     new = new.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e"))).alias("found"))
     out = rows.select("_row", "doc_id", "base").join(new, "_row", "left")
     out = out.withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")))
@@ -190,4 +216,5 @@ def _count(kind: int) -> Column:
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     d = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return d.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    more = [F.size(c).cast("long").alias(n) for c, n in (("found", "n_found"), ("spans", "n_spans"))]
+    return d.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), *more)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import WS, let, numbered, stage
+from stepwell.llm.common import WS, let, numbered, settled, stage
 
 SYMBOLS = "#*$%&|<>"
 #: Ratios that rules may test.
@@ -74,14 +74,14 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     carry: the whole row of docs goes along, as the struct _doc.
     """
-    more = [F.struct(*docs.columns).alias("_doc")] if carry else []
     kept = ["_doc"] if carry else []
+    docs = docs.select("doc_id", "text", *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] * carry)
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
     # exploding one-element arrays keeps words and lines from being computed for each use
-    d = numbered(docs).select("_row", "doc_id", *more, text.alias("text"), F.explode(F.array(F.struct(words.alias("w"), lines.alias("l")))).alias("x"))
+    d = numbered(docs).select("_row", "doc_id", *kept, text.alias("text"), F.explode(F.array(F.struct(words.alias("w"), lines.alias("l")))).alias("x"))
     d = d.select("_row", "doc_id", *kept, "text", F.col("x.w").alias("w"), F.col("x.l").alias("l"))
     only = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", "")).cast("long")
     d = d.select(
@@ -205,8 +205,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the base statistics and the learned list keep.
 
-    The list runs over docs itself: counting statistics once more costs less than sending all texts through a shuffle.
+    All columns stay, whatever their names. Nulls, repeated rows and empty tables are as in judge; a null text has too few
+    words and goes. The list runs over docs itself: counting statistics once more costs less than sending all texts through a shuffle.
     """
+    docs = settled(docs)
     _, rules = judge(docs, labels)
     return statistics(docs, carry=True).where(verdict(rules)).select("_doc.*")
 

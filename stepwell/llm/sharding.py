@@ -72,7 +72,7 @@ def ranged(rows: DataFrame, total: int, ranges: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each row of docs; law `bytes`.
 
-    Records are ordered by (hash of the text, doc_id, row), so that equal texts lie side by side and stay together
+    Records are ordered by (hash of the text, hash of doc_id, row), so that equal texts lie side by side and stay together
     but where a shard ends; a group that outgrows a range is subdivided inside. A shard ends at the record in which
     its share of the bytes does, so shards differ by about the largest record. Null text has no bytes, and size 1.
     Null and repeated doc_ids are rows of their own. An empty table gives no rows. Other columns are ignored.
@@ -81,7 +81,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     keys = numbered(docs).select(
         "_row",
         "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc"),
+        F.xxhash64("doc_id").alias("doc"),
         F.xxhash64(text).alias("h"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),

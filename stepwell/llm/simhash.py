@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import components, numbered, ship, stage
+from stepwell.llm.common import carried, components, numbered, settled, ship, stage
 
 #: Fingerprints of a tile, about; cells with more are subdivided by hash.
 TILE = 2048
@@ -187,9 +187,12 @@ def classes(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id."""
+    """The rows of docs that stay: of each component the one with the smallest doc_id, with all its columns, whatever
+    their names. Nulls, repeated rows and empty tables are as in classes: texts without words are one component.
+    """
+    docs = settled(docs)
     keep = classes(docs).where(F.col("_row") == F.col("keep_row")).select("_row")
-    return numbered(docs).join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return carried(docs).join(keep.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-EXTRA = [("_row", 1), ("size", 2), ("target", 3), ("kept", 4), ("h", 5), ("copies", 6), ("_doc", 7)]
+EXTRA = [("_row", 1), ("size", 2), ("target", 3), ("kept", 4), ("h", 5), ("copies", 6), ("_doc", 7), ("_n", 8), ("_i", 9), ("a.b", 10)]
 
 
 def extra(df):
@@ -76,7 +76,24 @@ def test_extra_columns(spark, odd):
         assert out.count() == n
     substring.passages(d).count()
     for out in (exact_dedup.keep_first(d), simhash.keep_one(d), mixing.mixed(d), quality_rules.keep_good(d, labels)):
-        assert out.columns == d.columns and out.count() <= 2 * n
+        rows = out.collect()
+        assert out.columns == d.columns and 0 < len(rows) <= 2 * n
+        assert {tuple(x) for x in rows} <= {tuple(x) for x in d.collect()}
+
+
+def test_text_ids(spark, odd):
+    from pyspark.sql import functions as F
+
+    d = frame(spark, odd).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.createDataFrame([("d5", 1, 0), ("d6", 0, 0)], "doc_id string, quality int, toxic int")
+    for out in (exact_dedup.dedup(d), simhash.classes(d), sharding.shard(d), mixing.copies(d), pii.find(d), quality_rules.judge(d, labels)[0], lm_score.score(d, labels)):
+        assert out.count() == len(odd)
+
+
+def test_shuffled_input(spark, odd):
+    """The result of a shuffle is numbered once, though it is read twice."""
+    d = frame(spark, odd).repartition(5, "text")
+    assert sorted(x.doc_id for x in simhash.keep_one(d).collect()) == sorted(x.doc_id for x in simhash.keep_one(frame(spark, odd)).collect())
 
 
 # 1
@@ -116,6 +133,19 @@ def test_pii_finds_by_context(spark):
     assert all([k for _, k, _ in got[i]] == [0] for i in range(12))
 
 
+def test_pii_learns_keys_and_leaves_decoys(spark):
+    """Digests after a key teach its context; values of other shapes there are found, numbers after common words not."""
+    r = random.Random(28)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    seeds = [f'{text(r, 9)} token = "{x}" {text(r, 9)} mail u{i}@mail.com the end' for i, x in enumerate(hexes)]
+    new = [f"{text(r, 9)} TOKEN = 'Zq{r.randint(100, 999)}-{r.randint(100, 999)}xK'!! {text(r, 9)}" for _ in range(4)]
+    decoys = [f"{text(r, 5)} the {r.randint(10**15, 10**16 - 1)} the {text(r, 9)} the version 2.0.{" token = 4111111111111112" * (k < 2)}" for k in range(20)]
+    got = {x.doc_id: [(seeds + new + decoys)[x.doc_id][s.s : s.e] for s in x.found] for x in pii.find(frame(spark, seeds + new + decoys)).collect()}
+    assert [got[i] for i in range(8)] == [[x] for x in hexes]
+    assert all(len(got[i]) == 1 and got[i][0].startswith("Zq") and got[i][0].endswith("xK") for i in range(8, 12))
+    assert not any(got[i] for i in range(12, 32))
+
+
 # 2
 PAGES = {
     "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One<br>two.<p>Three &#233;.</article><footer>&copy; me</footer>": "A & B\nOne two.\nThree é.",
@@ -150,6 +180,15 @@ def test_html_survives_noise():
         html_extract.main_text("".join(r.choice(["<p>", "</p>", "<div class='", "'>", "<a href=", ">", "text ", "<!--", "-->", "<script>", "</script>", "&amp", "<", "</", "<li>", '"']) for _ in range(80)))
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<a '", "<object>", "<svg>", "<!-", "<p title=\"x", "<li><form>"])
+def test_html_is_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 10
+
+
 # 3
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
