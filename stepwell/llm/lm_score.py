@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.llm.common import numbered, release, settled, ship, stage
-from stepwell.llm.words import grams, hashed
+from stepwell.llm.words import grams, hashed, packed, unpacked
 
 #: Weight of the unigram estimate in a bigram's, in counts.
 SMOOTH = 4.0
@@ -29,7 +29,7 @@ SMOOTH = 4.0
 _BLOCK = 6 << 20
 _BUCKET = 64_000_000
 #: Bits of a hash within a bucket.
-_KEY = 40
+_KEY = 36
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -80,15 +80,6 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return w, doc, grams(w, 2)[second - 1], second, n
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _unplaned(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def counts(rows: DataFrame) -> DataFrame:
     """The counts of all words and bigrams, for each block in the order of its distinct ones: rows (block, part, all,
     good), staged; part tells words' buckets, then bigrams'. Rows without block give a bucket's words, v distinct, n in
@@ -112,23 +103,23 @@ def counts(rows: DataFrame) -> DataFrame:
                 cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys)).tolist() if len(keys) else [0]
                 for i, j in zip(cuts, cuts[1:]):
                     delta = np.diff(key[i:j], prepend=np.uint64(0))
-                    out.append((int(bucket[i]) + (kind << bits), _planes(delta), _planes(n[i:j].astype(np.uint32)), _planes(g[i:j])))
+                    out.append((int(bucket[i]) + (kind << bits), packed(delta), packed(n[i:j].astype(np.uint32)), packed(g[i:j])))
             block = table.column("_row")[0].as_py()
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], ["block", "part", "key", "all", "good"])
 
     def add(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        key = [np.cumsum(_unplaned(x.as_py(), np.uint64)) for x in t.column("key")]
+        key = [np.cumsum(unpacked(x.as_py(), np.uint64)) for x in t.column("key")]
         cuts = np.cumsum([0, *map(len, key)]).tolist()
         keys, place, _ = _runs(np.concatenate(key))
         out, sums = {}, []
         for name in ("all", "good"):
-            own = np.concatenate([_unplaned(x.as_py(), np.uint32) for x in t.column(name)])
+            own = np.concatenate([unpacked(x.as_py(), np.uint32) for x in t.column(name)])
             total = np.bincount(place, weights=own, minlength=len(keys)).astype(np.uint64)
             sums.append(int(total.sum()))
             back = total[place]
-            out[name] = pa.array([*(_planes(back[i:j]) for i, j in zip(cuts, cuts[1:])), None], pa.binary())
+            out[name] = pa.array([*(packed(back[i:j]) for i, j in zip(cuts, cuts[1:])), None], pa.binary())
         word = not part >> bits
         last = lambda x: pa.array([None] * (len(cuts) - 1) + [x if word else 0], pa.int64())
         blocks = pa.array([*t.column("block").to_pylist(), None], pa.int64())
@@ -177,7 +168,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         w, doc, pairs, second, n = _tokens(table)
         target = table.column("target").to_numpy()
         order = np.argsort(totals.column("part").to_numpy())
-        of = {c: np.concatenate([np.zeros(0), *(_unplaned(totals.column(c)[int(i)].as_py(), np.uint64).astype(np.float64) for i in order)]) for c in ("all", "good")}
+        of = {c: np.concatenate([np.zeros(0), *(unpacked(totals.column(c)[int(i)].as_py(), np.uint64).astype(np.float64) for i in order)]) for c in ("all", "good")}
         distinct, one, _ = _runs(w)
         _, two, _ = _runs(pairs)
         own = _own(doc, one), _own(doc[second], two)

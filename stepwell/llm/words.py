@@ -106,3 +106,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         for i in range(1, k):
             out = out * np.uint64(_ODD) + h[i : i + n]
     return mixed(out)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's length and its bytes, all first bytes first, compressed: small numbers take little room."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[4:], n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
