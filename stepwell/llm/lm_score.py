@@ -33,11 +33,9 @@ _KEY = 36
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_row, doc_id, text, target): target where a label calls the document good. Settled: texts move only where the
-    good labels are too many to broadcast."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = stage(good, "good").withColumn("target", F.lit(True))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, "doc_id", "left")
+    """(_row, doc_id, text, target), settled: target where a label calls the document good."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good.hint("merge"), "doc_id", "left")
     return numbered(settled(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))).select("_row", "doc_id", "text", "target")
 
 
@@ -152,6 +150,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows. Other columns are ignored.
     """
     rows = flagged(docs, labels)
+    release(docs.sparkSession)
     found = counts(rows)
     release(docs.sparkSession)
     words, n_all, n_good = (x or 0 for x in found.agg(F.sum("v"), F.sum("n"), F.sum("g")).first())
