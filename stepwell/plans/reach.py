@@ -130,7 +130,9 @@ def unblock(units: DataFrame, known: DataFrame, max_passes: int = 12, compounds=
             break
         cover = vertex_cover(edges)
         seed += [(kind, key) for key, kind in cover]
-        known = known.select(*_UNIT).unionByName(spark.createDataFrame([(kind, key) for key, kind in cover], "kind string, key string"))
+        # open edges are those of unknown units alone, so the next closure goes on from them with the cover as all it knows
+        units, known = r.open, spark.createDataFrame([(kind, key) for key, kind in cover], "kind string, key string")
+        known = known if compounds is None else known.unionByName(r.known)
     return seed
 
 

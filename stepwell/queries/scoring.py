@@ -194,17 +194,17 @@ def cover_audit(spark, sf_dir):
 
 _EX = f""", {_MIN}, vg AS (SELECT video_id, avg(unknown) AS gap FROM gap GROUP BY video_id),
 cand AS (SELECT g.key, s.sentence_id, s.text, gp.unknown - 1 AS others, l.quality::DOUBLE AS verdict, vg.gap, minutes FROM goals g JOIN unit u USING (key) JOIN gap gp USING (sentence_id) JOIN sent s USING (sentence_id)
-  LEFT JOIN vg ON vg.video_id = s.video_id LEFT JOIN mins m ON m.video_id = s.video_id LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = s.video_id WHERE g.rank < 200),
+  LEFT JOIN vg ON vg.video_id = s.video_id LEFT JOIN mins m ON m.video_id = s.video_id LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = s.video_id),
 rk AS (SELECT *, {QUALITY} AS q, {VARIETY} AS v, round_even(gap, 0) AS band FROM cand)"""
 
 
-def candidates(spark, sf_dir, most=200):
-    """Sentences of the first goals with what their rank needs."""
+def candidates(spark, sf_dir):
+    """Sentences of all goals with what their rank needs."""
     s = tables.sentences(spark, sf_dir)
     u, known, goals = corpus(spark, sf_dir)
     g = index.gap(u, known, KNOWN)
     verdicts = tables.table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("video_id")).agg(F.min("quality").cast("double").alias("verdict"))
-    mine = u.join(F.broadcast(goals.where(F.col("rank") < most).select("kind", "key")), ["kind", "key"]).select("kind", "key", "sentence_id")
+    mine = u.join(F.broadcast(goals.select("kind", "key")), ["kind", "key"]).select("kind", "key", "sentence_id")
     c = mine.join(g.select("sentence_id", "unknown"), "sentence_id").join(s.select("sentence_id", "video_id", "text"), "sentence_id")
     c = c.join(index.gaps_by_video(g), "video_id", "left").join(tables.minutes(spark, sf_dir).select("video_id", "minutes"), "video_id", "left").join(verdicts, "video_id", "left")
     return c.select("kind", "key", "sentence_id", "text", (F.col("unknown") - 1).alias("others"), "verdict", "gap", "minutes")
@@ -221,15 +221,15 @@ def best_example(spark, sf_dir):
 
 
 _MISS = """, lost AS (SELECT u.sentence_id, u.key FROM unit u ANTI JOIN known USING (key)),
-stuck AS (SELECT l.key AS goal, l.sentence_id FROM lost l JOIN goals USING (key) WHERE rank < 500),
+stuck AS (SELECT l.key AS goal, l.sentence_id FROM lost l JOIN goals USING (key)),
 cheap AS (SELECT goal, min_by(sentence_id, unknown * 1000000000000 + sentence_id) AS sentence_id, min(unknown) - 1 AS cost FROM stuck JOIN gap USING (sentence_id) GROUP BY goal)"""
 
 
 def cheapest(spark, sf_dir):
-    """(goal, sentence_id, cost): for each of the first goals the sentence with the fewest other unknowns."""
+    """(goal, sentence_id, cost): for each goal the sentence with the fewest other unknowns."""
     u, known, goals = corpus(spark, sf_dir)
     g = index.gap(u, known, KNOWN).select("sentence_id", "unknown")
-    mine = u.join(F.broadcast(goals.where("rank < 500").select("key")), "key").select(F.col("key").alias("goal"), "sentence_id")
+    mine = u.join(F.broadcast(goals.select("key")), "key").select(F.col("key").alias("goal"), "sentence_id")
     best = mine.join(g, "sentence_id").groupBy("goal").agg(F.min(F.struct("unknown", "sentence_id")).alias("b"))
     return best.select("goal", "b.sentence_id", (F.col("b.unknown") - 1).alias("cost")), index.unknown_units(u, known, KNOWN)
 
@@ -252,7 +252,7 @@ def stranded_examples_top6(spark, sf_dir):
 
     u, known, goals = corpus(spark, sf_dir)
     g = index.gap(u, known, KNOWN).select("sentence_id", "unknown")
-    mine = u.join(F.broadcast(goals.where("rank < 500").select("key")), "key").select(F.col("key").alias("goal"), "sentence_id")
+    mine = u.join(F.broadcast(goals.select("key")), "key").select(F.col("key").alias("goal"), "sentence_id")
     c = mine.join(g, "sentence_id").join(tables.sentences(spark, sf_dir).select("sentence_id", "text"), "sentence_id")
     place = F.row_number().over(W.partitionBy("goal").orderBy("unknown", "text", "sentence_id"))
     return c.withColumn("place", place).where("place <= 6").select("goal", F.col("place").cast("long").alias("place"), "sentence_id")
