@@ -45,7 +45,7 @@ def reachable(units: DataFrame, known: DataFrame, goals: DataFrame | None, budge
     goals = goals.select(*_UNIT).distinct() if goals is not None else None
     have = stage(derivable(known.select(*_UNIT).distinct(), compounds), "known")
     left = stage(units.select("sentence_id", *_UNIT).join(have, _UNIT, "left_anti"), "open")
-    out = Reached(have)
+    out, parts = Reached(have), 0
 
     def settle() -> int:
         nonlocal left, have
@@ -63,11 +63,14 @@ def reachable(units: DataFrame, known: DataFrame, goals: DataFrame | None, budge
         raise RuntimeError("the closure did not settle")
 
     def learn(new: DataFrame, n: int) -> int:
-        nonlocal left, have
-        grown = have.unionByName(new)
-        if compounds is not None:
-            grown = derivable(grown, compounds)
-        grown = stage(grown.distinct(), "known")
+        nonlocal left, have, parts
+        if compounds is None:
+            # what is open is unknown, so all of new is gained, and the known units are the parts learned so far
+            parts += 1
+            have = have.unionByName(new) if parts % 32 else stage(have.unionByName(new), "known")
+            left = _lose(left, new, n)
+            return n
+        grown = stage(derivable(have.unionByName(new), compounds).distinct(), "known")
         gained = stage(grown.join(have, _UNIT, "left_anti"), "gained")
         n = gained.count()
         left = _lose(left, gained, n)
@@ -89,7 +92,7 @@ def reachable(units: DataFrame, known: DataFrame, goals: DataFrame | None, budge
         freed = freed.join(goals, _UNIT, "left_semi") if goals is not None else freed
         out.bought.append((best["kind"], best["key"], sorted(r["key"] for r in freed.collect())))
         budget -= 1
-    out.known, out.open = have, left
+    out.known, out.open = stage(have, "known"), left
     return out
 
 
