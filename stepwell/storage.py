@@ -49,7 +49,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     base = shared_dir(spark)
     _staged.add((spark.sparkContext.applicationId, base))
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
