@@ -158,12 +158,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            whole = table.combine_chunks().to_batches()[0]
-            cols = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c)) for c in ("doc_id", "text", "target")]
-            yield pa.RecordBatch.from_arrays([whole.column("_row").slice(0, 1), *cols], ["block", "doc_id", "text", "target"])
+            whole = table.select(["doc_id", "text", "target"]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            yield pa.RecordBatch.from_arrays([table.column("_row").slice(0, 1).combine_chunks(), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
     def judge(docs_: pa.Table, totals: pa.Table) -> pa.Table:
-        table = pa.table({c: docs_.column(c).combine_chunks().flatten() for c in ("doc_id", "text", "target")})
+        table = pa.ipc.open_stream(docs_.column("docs")[0].as_py()).read_all()
         w, doc, pairs, second, n = _tokens(table)
         target = table.column("target").to_numpy()
         order = np.argsort(totals.column("part").to_numpy())
@@ -181,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         cols = (means["good"], means["all"], means["good"] - means["all"])
         return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=empty) for x in cols)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    blocks = rows.mapInArrow(gathered, f"block long, doc_id array<{kind}>, text array<string>, target array<boolean>")
+    blocks = rows.mapInArrow(gathered, "block long, docs binary")
     answers = found.where("block is not null").select("block", "part", "all", "good")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
