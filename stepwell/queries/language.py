@@ -80,7 +80,7 @@ def function_words(spark, sf_dir):
 
 
 #: Goals written as a list writes them: every third one with an article and a capital, every fifth with an alternative.
-_LIST = ", listed AS (SELECT CASE WHEN rank % 3 = 0 THEN 'pattern' ELSE 'lemma' END AS kind, CASE WHEN rank % 3 = 0 THEN 'die ' || upper(key[1]) || key[2:] WHEN rank % 5 = 0 THEN key || ', ' || key || 'e' ELSE key END AS key, rank FROM goals WHERE regexp_matches(key, '^\\p{L}{2,}$') AND key[1] <> 'ß' AND key NOT IN ('der', 'die', 'das', 'den', 'dem', 'des', 'ein', 'eine', 'einer', 'einem', 'einen', 'jdm', 'jdn', 'jds', 'etw', 'sich'))".replace("\\\\", "\\")
+_LIST = ", listed AS MATERIALIZED (SELECT CASE WHEN rank % 3 = 0 THEN 'pattern' ELSE 'lemma' END AS kind, CASE WHEN rank % 3 = 0 THEN 'die ' || upper(key[1]) || key[2:] WHEN rank % 5 = 0 THEN key || ', ' || key || 'e' ELSE key END AS key, rank FROM goals WHERE regexp_matches(key, '^\\p{L}{2,}$') AND key[1] <> 'ß' AND key NOT IN ('der', 'die', 'das', 'den', 'dem', 'des', 'ein', 'eine', 'einer', 'einem', 'einen', 'jdm', 'jdn', 'jds', 'etw', 'sich'))".replace("\\\\", "\\")
 
 
 def listed(spark, sf_dir):
@@ -91,7 +91,7 @@ def listed(spark, sf_dir):
     return u, g.select(F.when(noun, "pattern").otherwise("lemma").alias("kind"), key.alias("key"), "rank")
 
 
-_ALIAS = _LIST + """, named AS (SELECT kind, key, unnest(CASE WHEN contains(key, ', ') THEN string_split(key, ', ') WHEN starts_with(key, 'die ') THEN [key[5:]] ELSE [key] END) AS word FROM listed),
+_ALIAS = _LIST + """, named AS MATERIALIZED (SELECT kind, key, unnest(CASE WHEN contains(key, ', ') THEN string_split(key, ', ') WHEN starts_with(key, 'die ') THEN [key[5:]] ELSE [key] END) AS word FROM listed),
 fold AS (SELECT lower(word) AS word, min((kind, key)) AS g FROM named GROUP BY lower(word)), ex AS (SELECT word, min((kind, key)) AS g FROM named GROUP BY word),
 res AS (SELECT c.key, coalesce(ex.g[2], fold.g[2], c.key) AS new_key FROM cnt c LEFT JOIN ex ON ex.word = c.key LEFT JOIN fold ON fold.word = lower(c.key))"""
 
