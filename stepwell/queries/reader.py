@@ -93,7 +93,15 @@ def taste_latest(spark, sf_dir):
     return state.latest(events(spark, sf_dir), ["user_id"], "event_type").select("user_id", F.col("event_type").alias("taste"))
 
 
-@query("sm2_fold")
+_SM2 = _EV.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, o AS (SELECT key, correct, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS n FROM ev),
+f AS (SELECT key, 0::BIGINT AS n, 1.0::DOUBLE AS days, 2.5::DOUBLE AS ease, 0 AS reps FROM ev GROUP BY key UNION ALL
+SELECT f.key, o.n, CASE WHEN correct THEN least(days * ease, 3650.0::DOUBLE) ELSE 1.0::DOUBLE END,
+CASE WHEN correct THEN least(ease + 0.05::DOUBLE, 3.0::DOUBLE) ELSE greatest(ease - 0.15::DOUBLE, 1.3::DOUBLE) END, CASE WHEN correct THEN reps + 1 ELSE 0 END
+FROM f JOIN o ON o.key IS NOT DISTINCT FROM f.key AND o.n = f.n + 1)
+SELECT key, round(arg_max(days, n), 6) AS interval_days, round(arg_max(ease, n), 6) AS ease_factor, arg_max(reps, n)::INTEGER AS repetitions FROM f GROUP BY key"""
+
+
+@query("sm2_fold", _SM2)
 def sm2_fold(spark, sf_dir):
     """Every card after all its reviews in order."""
     c = state.cards(events(spark, sf_dir))
