@@ -1,3 +1,3 @@
 """The engine's operators applied to the tables of a folder, one registered query each."""
 
-from stepwell.queries import core, deck, language, plans, reader, scoring  # noqa: F401
+from stepwell.queries import core, deck, language, load, plans, reader, scoring  # noqa: F401
