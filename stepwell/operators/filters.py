@@ -32,7 +32,9 @@ def fingerprint(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"(?U)\W+", ""))
+    """The words in lower case, without other signs; words of such signs alone are left out."""
+    bare = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]+", "")
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
 
 def not_german(text: Column, p: Column) -> Column:
@@ -48,32 +50,32 @@ def repeats(p: Column) -> Column:
     """No words, two equal halves, or a word three times; p are words without empty ones."""
     half = F.floor(F.size(p) / 2).cast("int")
     halves = (half > 0) & (F.slice(p, F.lit(1), half) == F.slice(p, half + 1, half))
-    most = F.array_max(F.transform(F.array_distinct(p), lambda w: F.size(F.filter(p, lambda x: x == w))))
-    return (F.size(p) == 0) | halves | (most >= CHANT)
+    # in sorted words those said CHANT times stand CHANT - 1 places apart
+    rest = F.greatest(F.size(p) - (CHANT - 1), F.lit(0))
+    chant = F.exists(F.zip_with(F.slice(F.array_sort(p), F.lit(1), rest), F.slice(F.array_sort(p), F.lit(CHANT), rest), lambda x, y: x == y), lambda e: e)
+    return (F.size(p) == 0) | halves | chant
 
 
 def reasons(sents: DataFrame, least: int = 4, most: int = 25) -> DataFrame:
     """sents (text, origin, and `nr`, a total order) with reason, null where kept.
 
     Only a kept sentence makes a later one with its fingerprint a duplicate, so the first that passes all other tests
-    is found for each fingerprint by a minimum, and joined back.
+    is found for each fingerprint by a minimum, and joined back. What the tests before that one reject is not shuffled.
     """
     text = F.trim("text")
-    # exploding one-element arrays keeps the words from being split again for each test
-    s = sents.withColumn("_x", F.explode(F.array(F.struct(F.size(words(text)).alias("n"), plain(text).alias("p")))))
-    s = s.withColumn("_q", F.explode(F.array(F.filter("_x.p", lambda w: w != ""))))
-    n = F.col("_x.n")
-    s = s.withColumn("_fp", fingerprint(text))
-    s = s.withColumn(
+    s = sents.withColumn(
         "_early",
         F.when(text == "", "empty")
         .when(text.rlike(ARTIFACT) | ((F.col("origin") != "transcript") & text.rlike(CAPTION_ARTIFACT)), "artifact")
         .when(~text.rlike(r"[.!?]$"), "unterminated")
-        .when(~n.between(least, most), "length"),
+        .when(~F.size(words(text)).between(least, most), "length"),
     )
-    late = F.when(not_german(text, F.col("_x.p")), "not german").when(text.rlike(PICTOGRAPH), "pictograph").when(repeats(F.col("_q")), "repeats itself")
-    s = s.withColumn("_late", F.when(F.col("_early").isNull(), late))
-    first = s.where("_early IS NULL AND _late IS NULL").groupBy("_fp").agg(F.min("nr").alias("_first"))
+    out = s.where("_early IS NOT NULL").withColumnRenamed("_early", "reason")
+    # exploding a one-element array keeps the words from being split again for each test
+    s = s.where("_early IS NULL").drop("_early").withColumn("_p", F.explode(F.array(plain(text)))).withColumn("_fp", fingerprint(text))
+    late = F.when(not_german(text, F.col("_p")), "not german").when(text.rlike(PICTOGRAPH), "pictograph").when(repeats(F.col("_p")), "repeats itself")
+    s = s.withColumn("_late", late).drop("_p")
+    first = s.where("_late IS NULL").groupBy("_fp").agg(F.min("nr").alias("_first"))
     s = s.join(first, "_fp", "left")
-    reason = F.coalesce(F.col("_early"), F.when(F.col("_first") < F.col("nr"), "duplicate"), F.col("_late"))
-    return s.withColumn("reason", reason).drop("_fp", "_early", "_late", "_first", "_x", "_q")
+    s = s.withColumn("reason", F.when(F.col("_first") < F.col("nr"), "duplicate").otherwise(F.col("_late")))
+    return s.drop("_fp", "_late", "_first").unionByName(out)
