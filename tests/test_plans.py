@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -187,6 +188,32 @@ def test_cover_facts():
     assert videos.audit({"a": {1: 2, 2: 3}}, [1], 5) == [("a", 2, 5)]
 
 
+def test_cover_of_many_videos_takes_little_memory():
+    r = random.Random(1)
+    vids = range(30_000)
+    supply = {f"u{u}": {v: r.choice((1, 1, 2)) for v in r.sample(vids, 600)} for u in range(100)}
+    mins = {v: r.randint(1, 40) for v in vids}
+    tracemalloc.start()
+    try:
+        c = videos.solve(supply, mins)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert c.status == "Feasible" and c.nodes == 200 and not videos.audit(supply, c.videos, 5) and peak < 60e6
+
+
+def test_cover_reads_its_supply_in_a_task(spark, monkeypatch):
+    r = random.Random(2)
+    supply = {u: {v: r.randint(1, 3) for v in range(30) if r.random() < 0.4} for u in "abcdefg"} | {"thin": {3: 1}}
+    mins = {v: float(r.randint(1, 40)) for v in range(30)}
+    s = spark.createDataFrame([(u, v, n) for u, x in supply.items() for v, n in x.items()], "key string, video_id long, n long")
+    m = spark.createDataFrame(list(mins.items()), "video_id long, minutes double")
+    want = videos.solve(supply, mins)
+    monkeypatch.setattr(videos, "solve", None)  # that would hold the supply on the driver
+    assert videos.cover(s, m) == want and want.short == {"thin": (1, 1)}
+    assert videos.cover(s.where("n > 9"), m).status == "nothing to cover"
+
+
 def test_vertex_cover():
     edges_ = {("a", "b"): 1, ("a", "c"): 1, ("d", "e"): 1}
     assert reach.vertex_cover(edges_) == ["a", "e"]
