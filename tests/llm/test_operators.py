@@ -680,3 +680,24 @@ def test_common_seeds_meet(spark, monkeypatch):
     rows = substring.passages(frame(spark, texts)).collect()
     assert {x.class_id for x in rows} == {0} and {x.doc_id for x in rows} | {x.other_id for x in rows} == set(range(300))
     assert len(rows) < 3000
+
+
+def test_common_seeds_lose_no_link(spark, tmp_path):
+    """The last two share 60 words, each sixth another; every run of five between lies apart in nine earlier documents."""
+    r = random.Random(27)
+    p = text(r, 60).split()
+    runs = [p[i : i + 5] for i in range(0, 60, 6)]
+    texts = [" ".join(w for run in runs for w in (text(r, 60), *run)) for _ in range(9)]
+    texts += [" ".join([text(r, 50), *x, text(r, 50)]) for x in (p, [f"other{i}" if i % 6 == 5 else w for i, w in enumerate(p)])]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = substring.op10_substring(spark, str(tmp_path)).collect()
+    assert {(x.other_id, x.doc_id, x.class_id) for x in rows} == {(9, 10, 9)}
+
+
+def test_all_met():
+    r = np.random.default_rng(28)
+    row, pos, h = r.integers(0, 6, 200), np.arange(200), r.integers(0, 20, 200).astype(np.uint64)
+    want = sorted((row[i], row[j], pos[i], pos[j]) for i in range(200) for j in range(200) if h[i] == h[j] and row[i] < row[j])
+    got = list(substring.all_met(row, pos, h, 50))
+    assert len(got) > 2 and sorted(zip(*np.concatenate(got, axis=1).tolist())) == want
+    assert not list(substring.all_met(row[:0], pos[:0], h[:0]))
