@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stepwell.llm import common, exact_dedup, html_extract, lm_score, mixing, packing, pii, quality_rules, sharding, simhash, substring
+from stepwell.llm import common, exact_dedup, html_extract, lm_score, mixing, packing, pii, quality_rules, sharding, simhash, substring, ties
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -701,3 +701,49 @@ def test_all_met():
     got = list(substring.all_met(row, pos, h, 50))
     assert len(got) > 2 and sorted(zip(*np.concatenate(got, axis=1).tolist())) == want
     assert not list(substring.all_met(row[:0], pos[:0], h[:0]))
+
+
+def test_a_common_line_brings_none_together(spark):
+    """A line of 13 words in 60 texts gives no seeds that meet; a passage of 60 words, 10 of them other, does."""
+    r = random.Random(29)
+    line, p = text(r, 13), text(r, 60).split()
+    texts = [f"{text(r, 60)} {line} {text(r, 60)}" for _ in range(60)]
+    frame_of = lambda texts: ties.met(ties.blocks(spark.createDataFrame(list(enumerate(texts)), "_row long, text string")), 50, 0.8)
+    assert frame_of(texts).count() == 0
+    texts += [" ".join([text(r, 50), *x, line]) for x in (p, [f"other{i}" if i % 6 == 5 else w for i, w in enumerate(p)])]
+    assert {x.row for x in frame_of(texts).where("h IS NOT NULL").collect()} == {60, 61}
+
+
+def test_longest_runs():
+    """Of words from few kinds, as brute force finds them on each diagonal; one word over and over gives no product."""
+    r = np.random.default_rng(30)
+    for _ in range(30):
+        x, y = (r.integers(0, 3, r.integers(0, 40)).astype(np.uint32) for _ in range(2))
+        want = []
+        for p, q in itertools.product(range(len(x)), range(len(y))):
+            if not (p and q and x[p - 1] == y[q - 1]):
+                n = next((n for n in range(min(len(x) - p, len(y) - q)) if x[p + n] != y[q + n]), min(len(x) - p, len(y) - q))
+                want += [(p, q, n)] * (n >= substring.K)
+        u, v = ties.Side(x), ties.Side(y)
+        u.sort()
+        assert list(zip(*(z.tolist() for z in ties.runs(u, v)))) == want
+    u, v = ties.Side(np.ones(3000, np.uint32)), ties.Side(np.ones(2000, np.uint32))
+    u.sort()
+    assert len(ties.runs(u, v)[0]) == 4993
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    """Edited copies, a group of many near copies, a copy, a null: the classes of all pairs, from fewer of their rows."""
+    r = random.Random(31)
+    texts = []
+    for size in (2, 3, 4, 5, 40):
+        p = text(r, 70).split()
+        for _ in range(size):
+            q = list(p)
+            for i in r.sample(range(70), r.randint(0, 12)):
+                q[i] = "new" + text(r, 1)
+            texts.append(" ".join([text(r, 20), *q]))
+    docs = frame(spark, [*texts, texts[0], None])
+    got, want = substring.classes(docs).collect(), substring.passages(docs, few=None).collect()
+    of = lambda rows: {i: x.class_id for x in rows for i in (x.doc_id, x.other_id)}
+    assert of(got) == of(want) and len(of(got)) > 40 and set(got) <= set(want) and len(got) < len(want) / 2
