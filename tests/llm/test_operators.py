@@ -747,3 +747,44 @@ def test_classes_are_those_of_all_pairs(spark):
     got, want = substring.classes(docs).collect(), substring.passages(docs, few=None).collect()
     of = lambda rows: {i: x.class_id for x in rows for i in (x.doc_id, x.other_id)}
     assert of(got) == of(want) and len(of(got)) > 40 and set(got) <= set(want) and len(got) < len(want) / 2
+
+
+def test_who_shares_a_part_of_a_line_is_not_compared(spark, monkeypatch):
+    """24 texts repeat lines of which 18 of 40 words are the same; two of them share a passage, behind a seed that others have."""
+    r = random.Random(37)
+    part, p = text(r, 18), text(r, 60)
+    texts = [" ".join(f"{part} {line}" for _ in range(5)) for line in (text(r, 22) for _ in range(24))]
+    texts[3], texts[20] = f"{texts[3]} {p}", f"{p} {texts[20]}"
+    seen, real = [], ties.links
+    monkeypatch.setattr(ties, "links", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    rows = substring.classes(frame(spark, texts)).collect()
+    assert {(x.other_id, x.doc_id) for x in rows} == {(3, 20)} and sum(seen) < 60
+
+
+def test_no_passage_is_apart_by_the_words_around_a_seed():
+    """Passages of 50 to 400 words, as alike as they must be, in other text: the two meet in some seed that both have."""
+    r = random.Random(38)
+    far, tried = ties.reach(50, 0.8), 0
+    for n in [50, 51, 60, 99, 100, 124, 150, 200, 400] * 6:
+        x = np.array([r.randrange(1, 1 << 32) for _ in range(n)], np.uint32)
+        y = x.tolist()
+        for i in sorted(r.sample(range(1, n - 1), n // 5), reverse=True):
+            how = r.choice(["other", "less", "more"])
+            y[i : i + 1] = [r.randrange(1, 1 << 32)] if how == "other" else [] if how == "less" else [y[i], r.randrange(1, 1 << 32)]
+        a, b = (np.concatenate([[r.randrange(1, 1 << 32) for _ in range(150)], z, [r.randrange(1, 1 << 32) for _ in range(150)]]).astype(np.uint32) for z in (x, y))
+        u, v = ties.Side(a), ties.Side(b)
+        u.sort()
+        if not ties.shared(u, v, 50, 0.8):
+            continue
+        tried += 1
+        g, h = (ties.grams(z.astype(np.uint64), ties.K) for z in (a, b))
+        both = [k for k in np.intersect1d(g, h)]
+        met = [ties.meetings([ties.around(np.flatnonzero(s == k), z, far) for s, z in ((g, a), (h, b))], [0, 1], 50, 0.8, True) for k in both]
+        # whichever seed is the rarest of a passage of fewer than twice the words: any may be
+        assert all(met) if n < 100 else any(met)
+    assert tried > 20
+    ends = np.arange(1, 46, dtype=np.uint32)
+    assert not ties.meetings([ends, ends, np.zeros(0, np.uint32)], [0, 1, 2], 50, 0.8, False)
+    wide = np.arange(1, 61, dtype=np.uint32)
+    assert ties.meetings([wide] * 4, [0, 1, 1, 2], 50, 0.8, False) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
+    assert ties.meetings([wide] * 4, [0, 1, 1, 2], 50, 0.8, True) == [(0, 1), (0, 3)]
