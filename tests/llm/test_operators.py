@@ -788,3 +788,16 @@ def test_no_passage_is_apart_by_the_words_around_a_seed():
     wide = np.arange(1, 61, dtype=np.uint32)
     assert ties.meetings([wide] * 4, [0, 1, 1, 2], 50, 0.8, False) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
     assert ties.meetings([wide] * 4, [0, 1, 1, 2], 50, 0.8, True) == [(0, 1), (0, 3)]
+
+
+def test_seeds_of_one_class_bring_none_together(spark):
+    """Three texts share a passage; those of one label have no seed that counts, and enough seeds near one must be in both."""
+    r = random.Random(41)
+    p = text(r, 60)
+    rows = ties.met(ties.blocks(spark.createDataFrame([(i, f"{text(r, 30)} {p}") for i in range(3)], "_row long, text string")), 50, 0.8).where("h IS NULL")
+    meet = lambda labels: ties.near_enough(ties.parted(ties.labelled(rows.selectExpr("row", f"element_at(array({labels}), int(row) + 1) label", "at", "seeds")), 50, 0.8), 50, 0.8).collect()
+    assert not meet("0L, 0L, 0L") and {x.row for x in meet("0L, 0L, 2L")} == {0, 1, 2}
+    behind = np.ones(20, np.uint16)
+    start, both = np.zeros(1, np.int64), np.arange(20) < 18
+    assert ties.enough(both, start, behind, 50, 0.8)[0] and not ties.enough(both & (np.arange(20) > 0), start, behind, 50, 0.8)[0]
+    assert not ties.enough(both, start, behind * 4, 50, 0.8)[0]
